@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, secrets
+from . import fingerprints, lattice, mixing, quality, secrets
 
 QUERIES = {
     f.__name__: f
     for f in (
+        lattice.op3_e8_lattice,
+        quality.op5_bradley_terry_quality,
         secrets.op7_blob_ledger_secrets,
         fingerprints.op9_order_minhash,
         mixing.op10_weighted_fair_mix,
