@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lattice, mixing, quality, secrets
+from . import fingerprints, lattice, mixing, quality, secrets, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
+        toxicity.op1_cumulative_link_toxicity,
         lattice.op3_e8_lattice,
         quality.op5_bradley_terry_quality,
         secrets.op7_blob_ledger_secrets,
