@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lattice, mixing, quality, secrets, toxicity
+from . import fingerprints, lattice, mixing, pieces, quality, secrets, toxicity, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         toxicity.op1_cumulative_link_toxicity,
         lattice.op3_e8_lattice,
+        pieces.op4_merge_rounds,
         quality.op5_bradley_terry_quality,
+        warc.op6_revisit_resolution,
         secrets.op7_blob_ledger_secrets,
         fingerprints.op9_order_minhash,
         mixing.op10_weighted_fair_mix,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_revisit_resolution": warc.OP6_SQL}
