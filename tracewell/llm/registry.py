@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lattice, mixing, pieces, quality, secrets, toxicity, warc
+from . import fingerprints, lattice, mixing, neardup, pieces, quality, secrets, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         quality.op5_bradley_terry_quality,
         warc.op6_revisit_resolution,
         secrets.op7_blob_ledger_secrets,
+        neardup.op8_minhash_forest,
         fingerprints.op9_order_minhash,
         mixing.op10_weighted_fair_mix,
     )
