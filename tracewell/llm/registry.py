@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lattice, mixing, neardup, pieces, quality, secrets, toxicity, warc
+from . import fingerprints, lattice, mixing, neardup, pieces, quality, secrets, substrings, toxicity, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         toxicity.op1_cumulative_link_toxicity,
+        substrings.op2_fm_index_repeats,
         lattice.op3_e8_lattice,
         pieces.op4_merge_rounds,
         quality.op5_bradley_terry_quality,
