@@ -23,9 +23,8 @@ TREES, DEPTH, LEAST = 20, 6, 3
 FIRST_TREES = 4
 #: Signatures that agree in fewer of 120 places are not confirmed: 4.5 deviations below 0.75.
 FLOOR = 0.57
-#: Partners that a document is confirmed with in another component, by round; the last
-#: round takes all.
-RANKS = (4, 64, None)
+#: Partners, the likeliest ones of other components, that the second round takes.
+NEXT = 2
 #: Partners that are confirmed beside one text in one task.
 CHUNK = 64
 #: Rows of a region that are compared as one block; larger regions are dealt to pairs of blocks.
@@ -75,7 +74,8 @@ def _prefixes(trees: range):
             x = np.broadcast_to(x, s.shape[:2])
             for k in range(LEAST):
                 x = mix(x * np.uint64(0x9E3779B97F4A7C15) + s[:, :, k])
-            yield pd.DataFrame({"region": x.reshape(-1).view(np.int64), "id": np.repeat(pdf["id"].to_numpy(), len(trees))})
+            tree = np.tile(np.arange(trees.start, trees.stop, dtype=np.int32), len(pdf))
+            yield pd.DataFrame({"region": x.reshape(-1).view(np.int64), "tree": tree, "id": np.repeat(pdf["id"].to_numpy(), len(trees))})
 
     return run
 
@@ -171,36 +171,102 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _across(rank: int | None):
-    """Pairs of different components in a region whose signatures agree enough: for each
-    document and component the ``rank`` most alike (all if None)."""
+def _candidates(own: np.ndarray, com: np.ndarray, sid: np.ndarray, who: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (x, y, agreement) of one region in different components whose signatures agree
+    enough, x in any but the region's largest component, each pair from one side only."""
+    names, at, count = np.unique(com, return_inverse=True, return_counts=True)
+    # components in order of size; a pair is asked from the smaller one's side
+    place = np.empty(len(names), np.int64)
+    place[np.lexsort((names, -count))] = np.arange(len(names))
+    level = place[at]
+    for i in range(0, len(own), 128):
+        ok = (level[i : i + 128, None] > level) & ((sid[i : i + 128, None] != sid) | (sid == 2))
+        x, y = np.nonzero(ok)
+        if not len(x):
+            continue
+        alike = np.concatenate([(own[i + x[k : k + 50_000]] == own[y[k : k + 50_000]]).mean(1) for k in range(0, len(x), 50_000)])
+        good = alike >= FLOOR
+        yield x[good] + i, y[good], alike[good]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _groups(batches, ["region", "block"]):
-            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), _PERMS)
-            ids, comp, side = (pdf[c].to_numpy() for c in ("id", "component", "side"))
-            starts, size = _cuts(pdf["region"].to_numpy(), pdf["block"].to_numpy())
-            for s, n in zip(starts[size > 1], size[size > 1]):
-                own, who, com, sid = sig[s : s + n], ids[s : s + n], comp[s : s + n], side[s : s + n]
-                for i in range(0, n, 256):
-                    rows = slice(i, i + 256)
-                    ok = (com[rows, None] != com) & ((sid[rows, None] != sid) | (sid == 2))
-                    x, y = np.nonzero(ok)
-                    if not len(x):
-                        continue
-                    alike = np.concatenate([(own[i + x[k : k + 50_000]] == own[y[k : k + 50_000]]).mean(1) for k in range(0, len(x), 50_000)])
-                    good = alike >= FLOOR
-                    x, y, alike = x[good] + i, y[good], alike[good]
-                    if rank is not None and len(x):
-                        order = np.lexsort((who[y], -alike, com[y], x))
-                        x, y = x[order], y[order]
-                        first, count = _cuts(x, com[y])
-                        at = np.arange(len(x)) - np.repeat(first, count)
-                        x, y = x[at < rank], y[at < rank]
-                    if len(x):
-                        yield pd.DataFrame({"a": np.minimum(who[x], who[y]), "b": np.maximum(who[x], who[y])})
 
-    return run
+def _regions(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows and signatures of each region (and block) with two rows or more."""
+    for pdf in _groups(batches, ["region", "block"]):
+        starts, size = _cuts(pdf["region"].to_numpy(), pdf["block"].to_numpy())
+        for s, n in zip(starts[size > 1], size[size > 1]):
+            part = pdf.iloc[s : s + n]
+            yield part, np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(n, _PERMS)
+
+
+def _likeliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each document outside its region's largest component with the NEXT most alike of others."""
+    for part, own in _regions(batches):
+        who = part["id"].to_numpy()
+        for x, y, alike in _candidates(own, part["component"].to_numpy(), part["side"].to_numpy(), who):
+            order = np.lexsort((who[y], -alike, x))
+            x, y = x[order], y[order]
+            first, count = _cuts(x)
+            at = np.arange(len(x)) - np.repeat(first, count)
+            x, y = x[at < NEXT], y[at < NEXT]
+            if len(x):
+                yield pd.DataFrame({"a": np.minimum(who[x], who[y]), "b": np.maximum(who[x], who[y])})
+
+
+def _earlier(own: np.ndarray, x: np.ndarray, y: np.ndarray, tree: int) -> np.ndarray:
+    """Pairs that an earlier tree puts in one region too."""
+    out = np.zeros(len(x), bool)
+    for t in range(tree):
+        at = slice(t * DEPTH, t * DEPTH + LEAST)
+        rest = np.flatnonzero(~out)
+        out[rest] = (own[x[rest], at] == own[y[rest], at]).all(1)
+    return out
+
+
+def _involved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of regions that still have candidates, one row a document and block."""
+    for part, own in _regions(batches):
+        who, tree = part["id"].to_numpy(), int(part["tree"].iloc[0])
+        used = np.zeros(len(part), bool)
+        for x, y, _ in _candidates(own, part["component"].to_numpy(), part["side"].to_numpy(), who):
+            new = ~_earlier(own, x, y, tree)
+            used[x[new]] = used[y[new]] = True
+        if used.any():
+            yield part.loc[used, ["region", "block", "tree", "id", "component", "side"]]
+
+
+def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between a region's components, every candidate that is left being confirmed on the
+    whole sets, the likeliest first; a pair that links found here join already is passed over."""
+    for part, own in _regions(batches):
+        who, com, tree = part["id"].to_numpy(), part["component"].to_numpy(), int(part["tree"].iloc[0])
+        sets: dict[int, np.ndarray] = {}
+        texts = part["text"].tolist()
+        root = {c: c for c in com.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        found = []
+        for x, y, alike in _candidates(own, com, part["side"].to_numpy(), who):
+            new = ~_earlier(own, x, y, tree)
+            x, y, alike = x[new], y[new], alike[new]
+            order = np.lexsort((who[y], who[x], -alike))
+            for i, j in zip(x[order].tolist(), y[order].tolist()):
+                a, b = top(int(com[i])), top(int(com[j]))
+                if a == b:
+                    continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = shingles((texts[k] or "").encode("utf-8", "replace"))
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both):
+                    root[max(a, b)] = min(a, b)
+                    found.append((who[i], who[j]))
+        if found:
+            yield pd.DataFrame(found, columns=["a", "b"]).astype(np.int64)
 
 
 def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,26 +332,29 @@ def link_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     if docs.select("doc_id").distinct().count() != docs.count():
         texts = texts.groupBy("id").agg(F.max("text").alias("text"))
     small = classes.select("id", "sig")
-    regions = small.mapInPandas(_prefixes(range(TREES)), "region long, id long").repartition("region").sortWithinPartitions("region")
-    regions = materialise(regions.mapInPandas(_shared, "region long, id long, rows long"))
-    first = small.mapInPandas(_prefixes(range(FIRST_TREES)), "region long, id long").select("region").distinct()
+    kind = "region long, tree int, id long"
+    regions = small.mapInPandas(_prefixes(range(TREES)), kind).repartition("region").sortWithinPartitions("region")
+    regions = materialise(regions.mapInPandas(_shared, f"{kind}, rows long"))
     signed = lambda r: r.join(small, "id").repartition("region", "block").sortWithinPartitions("region", "block")
-    start = _blocks(regions.join(first, "region", "left_semi")).filter("side = 2")
-    pairs = materialise(signed(start).mapInPandas(_stars, "a long, b long").distinct())
-    checked, comp = None, None
-    for rank in RANKS:
-        got = confirm(pairs, texts)
-        checked = got if checked is None else materialise(checked.unionByName(got))
-        comp = materialise(components(checked.filter("linked").select("a", "b")))
+    start = _blocks(regions.filter(F.col("tree") < FIRST_TREES)).filter("side = 2")
+    links = confirm(materialise(signed(start).mapInPandas(_stars, "a long, b long").distinct()), texts).filter("linked").select("a", "b")
+
+    def mixed(links: DataFrame) -> DataFrame:
+        """Rows of regions that lie in several components still."""
+        comp = materialise(components(links))
         mine = regions.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = mine.groupBy("region").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("region")
-        rows = signed(_blocks(mine.join(mixed, "region", "left_semi")))
-        pairs = rows.mapInPandas(_across(rank), "a long, b long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        if not pairs.take(1):
-            return comp
-    got = confirm(pairs, texts)
-    return components(checked.unionByName(got).filter("linked").select("a", "b"))
+        several = mine.groupBy("region").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi")
+        return _blocks(mine.join(several.select("region"), "region", "left_semi"))
+
+    pairs = materialise(signed(mixed(links)).mapInPandas(_likeliest, "a long, b long").distinct())
+    links = materialise(links.unionByName(confirm(pairs, texts).filter("linked").select("a", "b")))
+    kind = "region long, block int, tree int, id long, component long, side int"
+    left = materialise(signed(mixed(links)).mapInPandas(_involved, kind))
+    ids = materialise(left.select("id").distinct())
+    some = texts.join(broadcast_if_small(ids, ids.count()), "id")
+    rows = left.join(some.join(small, "id"), "id").repartition("region", "block").sortWithinPartitions("region", "block")
+    last = materialise(rows.mapInPandas(_settled, "a long, b long"))
+    return components(links.unionByName(last))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -293,9 +362,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents with equal shingle sets are one class; classes are candidates where trees of
     the forest put them in one region, and links are confirmed on the whole sets. First
-    every document is confirmed with its regions' centres and neighbours; then documents of
-    one region that are still in different components are confirmed with each other, the
-    likeliest first, until no candidate is left unconfirmed. Texts without words, null ones
+    every document is confirmed with its regions' centres and neighbours; then those of one
+    region that are still in different components with the likeliest partners; last, where
+    components still meet in a region, every candidate pair between them is confirmed beside
+    their texts, in the first region that has it, and only links are handed on. Texts without words, null ones
     included, link with nothing. Rows with null ids link with nothing; of rows with one
     doc_id the last text in order counts for links. An empty table gives no rows; other columns are ignored.
     """
