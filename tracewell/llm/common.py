@@ -1,76 +1,20 @@
-"""Shared helpers: shared-storage materialisation, tables, connected components."""
+"""Shared helpers: tables, size-checked broadcasts, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..storage import materialise, release
+
 #: Word pattern of every contract: runs of anything but space, tab and the line controls.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same separators, as a Java character class.
 SEPARATOR = r"[\x20\x09-\x0D]+"
 
-_created: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = sc._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="tracewell-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: lineage is cut and a
-    lost executor costs nothing. Tables are removed by ``release`` or when Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracewell-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tracewell_path = path
-    if not keep:
-        _created.append((spark, path))
-    return out
-
-
-def release(df: DataFrame) -> None:
-    path = getattr(df, "_tracewell_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _cleanup() -> None:
-    for spark, path in _created:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session is already gone
-            pass
-
-
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     """Broadcast only when the counted rows (narrow ids) are within ``limit``."""
     return F.broadcast(df) if rows <= limit else df
