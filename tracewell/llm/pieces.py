@@ -102,10 +102,17 @@ class Pieces:
                 if len(self.symbols[part]) > 1 and own[part] >= r:
                     self.alone[own[part]] = True
         self.piece_id = np.array([self.ids.get(s, -1) for s in self.symbols])
+        # a character's symbol, or -1 - its code where no piece has it
+        self.by_code = -1 - np.arange(0x110000, dtype=np.int64)
+        for c in chars:
+            self.by_code[ord(c)] = self.symbol[c]
+        self.digits = [str(i) for i in range(len(pieces))]
+        self.plain = [bytes([self.value[i]]) if i in self.value else t.replace(SPACE, " ").encode() for i, t in enumerate(self.text)]
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         # no piece goes on after a space's stand-in or holds a line end: texts fall apart there
         self.cut = re.compile("[\\s\\S]+" if inner else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if "\n" not in self.symbol else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and product of neighbours; the rank is the number of pieces where there is none."""
@@ -117,16 +124,17 @@ class Pieces:
         hit = (self.pair[at] == want) & (left >= 0) & (right >= 0)
         return np.where(hit, self.rank[at], none), self.product[at]
 
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """Symbols of each word after all merges; characters outside the vocabulary are -1 - code.
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words after all merges, and where each word's end; characters outside
+        the vocabulary are -1 - code.
 
         All words lie in one flat array. Each round finds every word's least pair rank, merges
         that rank's pairs in all words at once, leftmost first where they overlap, and drops
         the merged places; words without a pair leave.
         """
         none = len(self.alone) - 1
-        flat = [self.symbol.get(c, -1 - ord(c)) for w in words for c in w]
-        sym = np.array(flat, np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sym = self.by_code[codes]
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
         done_sym, done_word = [], []
         rank, product = self.ranks(sym[:-1], sym[1:])
@@ -172,24 +180,25 @@ class Pieces:
             r[(nxt == t) | (word[nxt] != word[t])] = none
             rank[t], product[t] = r, p
         if not done_sym:
-            return [np.empty(0, np.int64) for _ in words]
+            return np.empty(0, np.int64), np.zeros(len(words), np.int64)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
-        order = np.argsort(word, kind="stable")
-        sym = sym[order]
-        ends = np.cumsum(np.bincount(word, minlength=len(words)))
-        return np.split(sym, ends[:-1])
-
-    def ids_of(self, symbols: np.ndarray) -> list[int]:
-        """Piece ids; what is no piece becomes the bytes of its UTF-8."""
-        out = []
-        for s in symbols.tolist():
-            i = int(self.piece_id[s]) if s >= 0 else -1
-            if i >= 0:
-                out.append(i)
-            else:
-                text = self.symbols[s] if s >= 0 else chr(-1 - s)
-                out.extend(self.byte[b] for b in text.encode("utf-8", "replace"))
-        return out
+        return sym[np.argsort(word, kind="stable")], np.cumsum(np.bincount(word, minlength=len(words)))
+
+    def ids_of(self, sym: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of symbols, and where each word's end; what is no piece becomes the bytes
+        of its UTF-8."""
+        ids = np.where(sym >= 0, self.piece_id[np.maximum(sym, 0)], -1)
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids, ends
+        text = [self.symbols[s] if s >= 0 else chr(-1 - s) for s in sym[odd].tolist()]
+        fall = [[self.byte[b] for b in t.encode("utf-8", "replace")] for t in text]
+        size = np.ones(len(ids), np.int64)
+        size[odd] = [len(f) for f in fall]
+        total = np.cumsum(size)
+        out = np.repeat(ids, size)
+        out[out < 0] = [i for f in fall for i in f]
+        return out, total[ends - 1]
 
     def units(self, text: str) -> list[str]:
         if not text:
@@ -197,18 +206,35 @@ class Pieces:
         return self.cut.findall(SPACE + text.replace(" ", SPACE))
 
     def learn(self, units: set[str]) -> dict[str, tuple[str, int, bytes]]:
-        """(ids joined by commas, number of ids, decoded UTF-8) of units, from the cache or anew."""
+        """(ids joined by commas, number of ids, decoded UTF-8) of units, from the cache or anew.
+
+        The cache has two generations: words met since the last turn, and those met before.
+        """
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        got = {u: self.cache[u] for u in units if u in self.cache}
-        rest = [u for u in units if u not in got]
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        got, rest = {}, []
+        for u in units:
+            v = cache.get(u)
+            if v is None:
+                v = older.get(u)
+                if v is None:
+                    rest.append(u)
+                    continue
+                cache[u] = v
+            got[u] = v
+        digits, plain = self.digits, self.plain
         for i in range(0, len(rest), 20_000):
             part = rest[i : i + 20_000]
-            for u, symbols in zip(part, self.merge(part)):
-                ids = self.ids_of(symbols)
-                got[u] = (",".join(map(str, ids)), len(ids), self.raw(ids))
+            ids, ends = self.ids_of(*self.merge(part))
+            ids, at = ids.tolist(), 0
+            text, raw = [digits[k] for k in ids], [plain[k] for k in ids]
+            for u, to in zip(part, ends.tolist()):
+                v = (",".join(text[at:to]), to - at, b"".join(raw[at:to]))
+                got[u] = v
                 if len(u) <= CACHE_CHARS:
-                    self.cache[u] = got[u]
+                    cache[u] = v
+                at = to
         return got
 
     def encode(self, text: str) -> list[int]:
@@ -218,7 +244,7 @@ class Pieces:
 
     def raw(self, ids: list[int]) -> bytes:
         """UTF-8 of ids, the stand-ins turned to spaces."""
-        return b"".join(bytes([self.value[i]]) if i in self.value else self.text[i].replace(SPACE, " ").encode() for i in ids)
+        return b"".join([self.plain[i] for i in ids])
 
     @staticmethod
     def finish(raw: bytes) -> bytes:
