@@ -51,8 +51,12 @@ def stable_id_py(text: str, prefix: str = "") -> str:
 
 
 def iso_ms(ms: Column) -> Column:
-    """ISO 8601 with milliseconds in UTC."""
-    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """ISO 8601 with milliseconds in UTC, whatever the session's time zone."""
+    whole, rest = F.floor(ms / 1000).cast("long"), F.pmod(ms, F.lit(1000))
+    days, seconds = F.floor(whole / 86400).cast("int"), F.pmod(whole, F.lit(86400))
+    clock = F.concat_ws(":", *[F.lpad(x.cast("long").cast("string"), 2, "0") for x in (F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)])
+    date = F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
+    return F.when(ms.isNotNull(), F.concat(date, F.lit("T"), clock, F.lit("."), F.lpad(rest.cast("string"), 3, "0"), F.lit("Z")))
 
 
 def trim(text: Column) -> Column:

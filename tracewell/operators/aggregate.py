@@ -70,9 +70,24 @@ def with_event_time(events: DataFrame, start_ms: int, missing: bool = True) -> D
     return carry_forward(events, start_ms) if missing else events.withColumn("event_ms", F.col("ts_ms"))
 
 
+def quantile_by(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
+    """Interpolated quantile of ``value`` by ``keys``: below + (above - below) * fraction.
+
+    Equal values are counted before they are ordered, so what a group brings to one task are
+    its distinct values, which can spill.
+    """
+    per = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*keys)
+    to = F.sum("_c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    per = per.withColumn("_to", to).withColumn("_at", (F.sum("_c").over(group) - 1) * F.lit(q))
+    at = lambda place: F.min(F.when(F.col("_to") > place, F.col(value)))
+    per = per.groupBy(*keys).agg(at(F.floor("_at")).alias("_lo"), at(F.ceil("_at")).alias("_hi"), F.first(F.col("_at") - F.floor("_at")).alias("_f"))
+    return per.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(out))
+
+
 def timeline(events: DataFrame, bucket_ms: int) -> DataFrame:
     """bucket_ms, count, errors, error_rate, latency_p95_ms by tumbling bucket of event_ms, in order."""
-    per = events.groupBy(bucket_of(F.col("event_ms"), bucket_ms).alias("bucket_ms")).agg(
-        F.count("*").alias("count"), F.count_if(F.col("level").isin("error", "fatal")).alias("errors"), F.percentile("duration_ms", F.lit(0.95)).alias("p"),
-    )
+    rows = events.select(bucket_of(F.col("event_ms"), bucket_ms).alias("bucket_ms"), "level", "duration_ms")
+    per = rows.groupBy("bucket_ms").agg(F.count("*").alias("count"), F.count_if(F.col("level").isin("error", "fatal")).alias("errors"))
+    per = per.join(quantile_by(rows, ["bucket_ms"], "duration_ms", 0.95, "p"), "bucket_ms", "left")
     return per.select("bucket_ms", iso_ms(F.col("bucket_ms")).alias("timestamp"), "count", "errors", percent(F.col("errors"), F.col("count")).alias("error_rate"), round_half(F.col("p"), 3).alias("latency_p95_ms")).orderBy("bucket_ms")
