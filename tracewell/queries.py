@@ -281,8 +281,8 @@ _ISO = "strftime(make_timestamp({} * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 
 def _tl(size: int) -> str:
     """Timeline; the quantile is below + (above - below) * fraction, term by term."""
-    p95 = _r("v[floor(at)::bigint + 1] + (v[ceil(at)::bigint + 1] - v[floor(at)::bigint + 1]) * (at - floor(at))", 3)
-    per = f"select (ts_ms // {size}) * {size} bucket_ms, count(*) n, count(*) filter (level in ('error', 'fatal')) errors, list_sort(list(duration_ms)) v, (count(*) - 1) * 0.95::double at from e group by 1"
+    p95 = _r("v[floor(pos)::bigint + 1] + (v[ceil(pos)::bigint + 1] - v[floor(pos)::bigint + 1]) * (pos - floor(pos))", 3)
+    per = f"select (ts_ms // {size}) * {size} bucket_ms, count(*) n, count(*) filter (level in ('error', 'fatal')) errors, list_sort(list(duration_ms)) v, (count(*) - 1) * 0.95::double pos from e group by 1"
     return f"t as (select bucket_ms, n, errors, {p95} p95 from ({per}))"
 
 

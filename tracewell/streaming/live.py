@@ -17,10 +17,13 @@ from ..sources.lines import bound
 
 
 def stream_lines(spark: SparkSession, path: str, max_bytes: int = 2_000_000) -> DataFrame:
-    """Lines of files that appear in a folder. Arrival numbers hold within a micro-batch."""
-    raw = spark.readStream.option("lineSep", "\n").text(path)
-    text = F.regexp_replace(F.col("value"), "\r\\z", "")
-    return bound(raw.select(F.monotonically_increasing_id().alias("seq"), text.alias("text"), F.lit(False).alias("truncated")), max_bytes)
+    """Lines of files that appear in a folder, each file read whole (so files should be small,
+    as rotated logs are). ``seq`` is the file's time above the line's place."""
+    raw = spark.readStream.option("wholetext", "true").text(path)
+    body = F.regexp_replace("value", "\n\\z", "")
+    rows = raw.select(F.unix_millis("_metadata.file_modification_time").alias("_t"), F.posexplode(F.split(body, "\n")).alias("_k", "_x"))
+    seq = F.shiftleft("_t", 21).bitwiseOR(F.col("_k").cast("long"))
+    return bound(rows.select(seq.alias("seq"), F.regexp_replace("_x", "\r\\z", "").alias("text"), F.lit(False).alias("truncated")), max_bytes)
 
 
 def stream_events(lines: DataFrame, year: int, redactor: Redactor | None = None) -> DataFrame:
