@@ -15,6 +15,8 @@ from .scoring import MAX_TRAIN, fold_of, training_ids
 #: Preference pairs drawn for training, each a good and a bad document of the sample.
 MAX_PAIRS = 200_000
 RIDGE = 1e-3
+#: Pairs whose differences are held at once.
+PAIR_ROWS = 10_000
 _PUNCTUATION = b"!?*#%&$|<>{}[]()=+_~^\\/@\"'`:;,.-"
 
 
@@ -87,12 +89,15 @@ def fit(x: np.ndarray, y: np.ndarray, max_pairs: int = MAX_PAIRS, seed: int = 3)
     rng = np.random.default_rng(seed)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     n = min(max_pairs, len(good) * len(bad), 50 * len(y))
-    d = z[rng.choice(good, n)] - z[rng.choice(bad, n)]
+    a, b = rng.choice(good, n), rng.choice(bad, n)
     w = np.zeros(width)
     for _ in range(25):
-        p = 1 / (1 + np.exp(-(d @ w).clip(-500, 500)))
-        grad = d.T @ (p - 1) / n + RIDGE * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / n + RIDGE * np.eye(width)
+        grad, hess = RIDGE * w, RIDGE * np.eye(width)
+        for k in range(0, n, PAIR_ROWS):  # the differences of all pairs at once would take much memory
+            d = z[a[k : k + PAIR_ROWS]] - z[b[k : k + PAIR_ROWS]]
+            p = 1 / (1 + np.exp(-(d @ w).clip(-500, 500)))
+            grad += d.T @ (p - 1) / n
+            hess += (d * (p * (1 - p))[:, None]).T @ d / n
         step = np.linalg.solve(hess, grad)
         w = w - step
         if np.abs(step).max() < 1e-6:
