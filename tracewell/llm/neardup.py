@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import broadcast_if_small, components, materialise, release, table
+from .common import broadcast_if_small, components, materialise, release, small_batches, table
 from .hashing import mix, windows, word_hashes
 
 SHINGLE = 5
@@ -320,7 +320,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, n, key of each row; one row with id, sig for each distinct non-empty set)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("id"), "text")
     rows = materialise(rows.mapInPandas(_signed, "id long, n long, key string, sig binary"))
     some = rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
     return rows, materialise(some)

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: The space's stand-in in pieces.
 SPACE = "▁"
@@ -313,7 +313,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                 at = to
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return small_batches(docs).select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op4_merge_rounds(spark, sf_dir):

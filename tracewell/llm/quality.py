@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import small_batches, table
 from .scoring import MAX_TRAIN, fold_of, training_ids
 
 #: Preference pairs drawn for training, each a good and a bad document of the sample.
@@ -120,7 +120,7 @@ def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Ranker:
     """Fit on a bounded sample of labelled documents outside the held-out fold."""
     ids = training_ids(labels, "quality", max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
     got = rows.mapInPandas(_measured, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(NAMES))
     return fit(x, got["y"].to_numpy(int))

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import broadcast_if_small, materialise, table
+from .common import broadcast_if_small, materialise, small_batches, table
 from .fmindex import FMIndex
 from .hashing import _BASE, mix, powers, windows, word_hashes
 
@@ -192,7 +192,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_rows: int = SHAR
     past it. Passages of an anchor beyond ``shard_rows`` are dealt to shards that all of
     them stream past.
     """
-    mine = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null and text is not null")
+    mine = small_batches(docs).select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null and text is not null")
     found = materialise(mine.mapInPandas(_anchored(window), "anchor long, seg long, id long, tag int, at int, n int, more boolean"))
     first = F.min(F.struct("id", "tag", "at", "n")).alias("f")
     segs = found.groupBy("anchor", "seg").agg(first, F.max("id").alias("last"))

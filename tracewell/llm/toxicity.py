@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import small_batches, table
 from .scoring import MAX_TRAIN, fold_of, training_ids
 
 #: Severity grades 0 (clean) to GRADES - 1. Labels mark only clean and toxic, so a toxic
@@ -110,7 +110,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Model:
     """Fit on a bounded sample of labelled documents outside the held-out fold; equal texts count once."""
     ids = training_ids(labels, "toxic", max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     rows = rows.groupBy(F.xxhash64("text").alias("_t")).agg(F.first("text").alias("text"), F.max("y").alias("y"))
     counts = rows.mapInPandas(_counted, "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     totals = counts.filter("f = ''").first()
