@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lattice, mixing, neardup, pieces, quality, secrets, substrings, toxicity, warc
+from . import fingerprints, lattice, mixing, neardup, oracles, pieces, quality, secrets, substrings, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -20,4 +20,4 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {"op6_revisit_resolution": warc.OP6_SQL}
+SQL: dict[str, str] = oracles.SQL
