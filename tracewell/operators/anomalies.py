@@ -12,6 +12,7 @@ SCHEMA = "id string, type string, severity string, title string, detail string,
 MAX_REPORTED = 100
 #: A kind's least score and ratio, and the floor of the ratio's divisor.
 RULES = {"error-burst": (3.0, 2.0, 0.5), "latency-spike": (3.5, 1.8, 0.001), "frequency-spike": (4.0, 3.0, 0.5)}
+#: The titles.
 TITLES = {"error-burst": "Error burst detected", "latency-spike": "Latency regression detected", "frequency-spike": "Template frequency spike"}
 _RANK = {"critical": 3, "high": 2, "medium": 1}
 
