@@ -18,7 +18,7 @@ from ..operators import aggregate, anomalies as anomaly_ops, precursors as precu
 from ..operators.parse import parse
 from ..operators.redact import Redactor, redact, redaction_counts
 from ..options import VERSION, AnalyzeOptions
-from ..sources.lines import bound, lines_from, source_label
+from ..sources.lines import bound, lines_from, source_label, spread
 from ..storage import materialise, release
 
 TOOL = "tracewell"
@@ -40,7 +40,7 @@ class Analysis:
     @cached_property
     def events(self) -> DataFrame:
         """Redacted canonical events with event_ms; kept as a table, as every part reads them."""
-        parsed = self._parsed = materialise(redact(parse(self.lines, self.options.now.year, isolated=False), self.redactor).drop("attributes"))
+        parsed = self._parsed = materialise(redact(parse(spread(self.lines), self.options.now.year, isolated=False), self.redactor).drop("attributes"))
         missing = parsed.filter(F.col("ts_ms").isNull()).limit(1).count() > 0
         return aggregate.with_event_time(parsed, self.options.now_ms, missing)
 

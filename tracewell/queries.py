@@ -16,7 +16,8 @@ from .operators.parse import parse
 from .operators.redact import redact, redact_text, redaction_counts
 from .options import AnalyzeOptions
 from .plans.report import analyze
-from .sources.lines import DEMO_SOURCE, bound, demo_lines, lines_from
+from .sources.lines import DEMO_SOURCE, bound, demo_lines, lines_from, spread
+from .storage import materialise
 
 HOUR, DAY = 3_600_000, 86_400_000
 YEAR = 2026
@@ -55,7 +56,7 @@ def log_lines(spark: SparkSession, sf_dir: str, untimed: bool = False, by_user:
     logfmt = F.concat(F.when(stamp.isNotNull(), F.concat(F.lit("time="), stamp, F.lit(" "))).otherwise(""), F.lit("level="), level, F.lit(" service="), service, F.lit(" duration="), took, F.lit("ms msg="), q, message, q)
     plain = F.concat(F.when(stamp.isNotNull(), F.concat(stamp, F.lit(" "))).otherwise(""), F.upper(level), F.lit(" ["), service, F.lit("] "), message, F.lit(" latency="), took, F.lit("ms"))
     text = F.when(n % 3 == 0, ndjson).when(n % 3 == 1, logfmt).otherwise(plain)
-    return _events(spark, sf_dir).select(n.alias("seq"), text.alias("text"), F.lit(False).alias("truncated"))
+    return spread(_events(spark, sf_dir).select(n.alias("seq"), text.alias("text"), F.lit(False).alias("truncated")))
 
 
 def _parsed(spark, sf_dir, isolated: bool = True, **kw) -> DataFrame:
@@ -73,7 +74,9 @@ def _structured(spark, sf_dir, **kw) -> DataFrame:
 
 
 def _assigned(spark, sf_dir, **kw) -> DataFrame:
-    return templates.assign_templates(_structured(spark, sf_dir, **kw).select("seq", "ts_ms", "level", "service", "message", "duration_ms"))
+    events = _structured(spark, sf_dir, **kw).select("seq", "ts_ms", "level", "service", "message", "duration_ms")
+    # the events are read for their distinct token lists and again for the join
+    return templates.assign_templates(materialise(events))
 
 
 def _timed(df: DataFrame) -> DataFrame:
@@ -156,7 +159,7 @@ def top_templates(spark, sf_dir):
 
 
 def template_search(spark, sf_dir):
-    a = _assigned(spark, sf_dir)
+    a = materialise(_assigned(spark, sf_dir))
     item = F.struct("name", "count", "percent")
     df = templates.template_summary(a).join(templates.sample_messages(a), "template_id")
     for by in ("level", "service"):
@@ -173,7 +176,7 @@ def bucket_anomalies(spark, sf_dir):
 
 def _bursty(spark, sf_dir) -> DataFrame:
     """Template assignments by construction, for counts by day."""
-    return _assigned(spark, sf_dir).withColumn("event_ms", F.col("ts_ms"))
+    return materialise(_assigned(spark, sf_dir)).withColumn("event_ms", F.col("ts_ms"))
 
 
 def frequency_spikes(spark, sf_dir):
@@ -188,8 +191,7 @@ def all_anomalies(spark, sf_dir):
 
 
 def _sequence(spark, sf_dir) -> DataFrame:
-    df = _structured(spark, sf_dir, by_user=True)
-    return precursors.sequence(templates.assign_templates(df.select("seq", "ts_ms", "level", "service", "message")), None)
+    return materialise(precursors.sequence(_assigned(spark, sf_dir, by_user=True), None))
 
 
 def next_failure(spark, sf_dir):

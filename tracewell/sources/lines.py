@@ -30,6 +30,13 @@ def bound(lines: DataFrame, max_bytes: int) -> DataFrame:
     return lines.select("seq", truncate_utf8(F.col("text"), max_bytes).alias("text"), (F.coalesce("truncated", F.lit(False)) | over).alias("truncated"))
 
 
+def spread(lines: DataFrame) -> DataFrame:
+    """``lines`` dealt to all cores if their source has fewer splits, as a gzip file has one:
+    parsing costs far more than moving the lines. Their numbers keep the order."""
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
+
+
 def read_lines(spark: SparkSession, path: str | list[str], max_bytes: int = 2_000_000) -> DataFrame:
     """Lines of files, directories or globs, gzip by extension, in order of path and place.
 
