@@ -120,7 +120,7 @@ def redacted_messages(spark, sf_dir):
 
 
 def redact_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     hits = redact_text(docs, "text")
     count = lambda n: F.coalesce(F.element_at("redactions", n), F.lit(0)).alias(n.lower())
     return hits.select("doc_id", count("EMAIL"), count("SECRET"))
