@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import materialise, table
+from .common import materialise, scratch, table, whole_rows
 
 #: Version of the rules below; a ledger row holds for one blob under one version.
 RULE_VERSION = "1"
@@ -105,24 +105,40 @@ def redact(text: Column, spans: Column) -> Column:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets replaced in ``text`` and ``n_chars`` counted anew where a text
-    changed; rows and other columns stay. Each distinct text is scanned once."""
+    changed; rows and other columns stay, whatever their names. Each distinct text is scanned
+    once. Null, empty and clean texts stay as they are; rows with null or repeated ids are
+    treated like others; an empty table gives no rows."""
     found, _ = scan(docs)
     found = found.filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
-    mine = docs.withColumn("_blob", blob_id(F.col("text")))
-    out = mine.join(found.withColumnRenamed("blob", "_found"), F.col("_blob") == F.col("_found"), "left")
-    text = redact(F.col("text"), F.col("spans"))
-    out = out.withColumn("text", F.when(F.col("spans").isNotNull(), text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        changed = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), changed).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.col("row.text")
+    rows = docs.select(whole_rows(docs).alias("row")).withColumn("blob", blob_id(text))
+    out = rows.join(found, "blob", "left").withColumn("clean", F.when(F.col("spans").isNotNull(), redact(text, F.col("spans"))).otherwise(text))
+
+    def column(name: str) -> Column:
+        old = F.col(f"row.`{name}`")
+        if name == "text":
+            return F.col("clean").cast(docs.schema["text"].dataType).alias(name)
+        if name == "n_chars":
+            counted = F.char_length("clean").cast(docs.schema["n_chars"].dataType)
+            return F.when(F.col("spans").isNotNull(), counted).otherwise(old).alias(name)
+        return old.alias(name)
+
+    return out.select(*[column(c) for c in docs.columns])
 
 
 def op7_blob_ledger_secrets(spark, sf_dir):
-    found, _ = scan(table(spark, sf_dir, "documents"))
-    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
-    return found.select(
-        F.col("path").alias("doc_id"), *[count(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)],
-        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
-    )
+    """The table as two increments, the second scanned against the ledger that the first left:
+    its copies of texts that are known already are not scanned again. Together they are all
+    rows."""
+    docs = table(spark, sf_dir, "documents")
+    early = F.coalesce(F.xxhash64("doc_id") < 0, F.lit(True))
+    with scratch() as keep:
+        found, ledger = scan(docs.filter(early))
+        later, _ = scan(docs.filter(~early), ledger=ledger)
+        base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+        count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
+        out = found.unionByName(later).select(
+            F.col("path").alias("doc_id"), *[count(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)],
+            F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
+        )
+        return keep(materialise(out))
