@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SEPARATOR, table
+from .common import SEPARATOR, bounds_of, bucket_of, table
 
 #: Slots of a fingerprint, a power of two: the k-mers' hashes are dealt to the slots.
 SLOTS = 32
@@ -12,11 +12,13 @@ SLOTS = 32
 TUPLE = 2
 #: Words in a k-mer; the last ones are filled up with empty words, so n words give n k-mers.
 K = 2
-#: Bits of a place in the text; later k-mers share the last place, as texts of 16.7 million words would.
+#: Bits of a place beside a hash of 40 bits in one number, for texts of fewer than NARROW
+#: words; longer texts keep hash and place apart.
 _PLACE = 24
+NARROW = 1 << 23
 _BITS = 5
-#: Rows of the table of neighbouring buckets at most.
-MAX_BUCKETS = 1 << 20
+#: Rows of the table of neighbouring buckets at most, bounds among them, and rows in a bucket.
+MAX_BUCKETS, MAX_BOUNDS, BUCKET_ROWS = 1 << 20, 1024, 64
 
 
 def _bind(value: Column, use) -> Column:
@@ -32,41 +34,47 @@ def fingerprint(text: Column) -> Column:
     stand in the text, and hashes them. A null text counts as empty: all slots are empty.
     """
     words = F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATOR), lambda w: w != "")
+    kmer = lambda w, x, i: F.xxhash64(x, *[F.coalesce(F.get(w, i + j), F.lit("")) for j in range(1, K)])
+    mask = F.lit((1 << 64 - _PLACE) - 1)
 
-    def packed(w: Column) -> Column:
-        # the k-mer's hash above its place
-        place = lambda i: F.least(i, F.lit((1 << _PLACE) - 1)).cast("long")
-        kmer = lambda x, i: F.xxhash64(x, *[F.coalesce(F.get(w, i + j), F.lit("")) for j in range(1, K)])
-        return F.sort_array(F.transform(w, lambda x, i: F.shiftleft(F.shiftrightunsigned(kmer(x, i), _PLACE), _PLACE).bitwiseOR(place(i))))
+    def build(w: Column, pack, hash_of, place_of, steps: int) -> Column:
+        """The signature, with k-mers as ``pack(hash of 40 bits, signed; place)``, which sorts by
+        hash, then place."""
 
-    def numbered(s: Column) -> Column:
-        same = lambda i, x, back: F.coalesce(F.shiftright(F.get(s, i - back), _PLACE) == F.shiftright(x, _PLACE), F.lit(False))
-        # equal hashes stand together: the number of equal ones before is found by halving
-        steps = F.array(*[F.lit(1 << b) for b in range(_PLACE - 1, -1, -1)])
+        def numbered(s: Column) -> Column:
+            same = lambda i, x, back: F.coalesce(hash_of(F.get(s, i - back)) == hash_of(x), F.lit(False))
+            # equal hashes stand together: the number of equal ones before is found by halving
+            halves = F.array(*[F.lit(1 << b) for b in range(steps - 1, -1, -1)])
 
-        def earlier(x: Column, i: Column) -> Column:
-            search = F.aggregate(steps, F.lit(0), lambda n, b: F.when((i >= n + b) & same(i, x, n + b), n + b).otherwise(n))
-            return F.when(same(i, x, F.lit(1)) & (i > 0), search).otherwise(F.lit(0))
+            def earlier(x: Column, i: Column) -> Column:
+                search = F.aggregate(halves, F.lit(0), lambda n, b: F.when((i >= n + b) & same(i, x, n + b), n + b).otherwise(n))
+                return F.when(same(i, x, F.lit(1)) & (i > 0), search).otherwise(F.lit(0))
 
-        def one(x: Column, i: Column) -> Column:
-            h = F.xxhash64(F.shiftright(x, _PLACE), earlier(x, i))
-            return F.shiftleft(F.shiftrightunsigned(h, _PLACE), _PLACE).bitwiseOR(x.bitwiseAND(F.lit((1 << _PLACE) - 1)))
+            return F.sort_array(F.transform(s, lambda x, i: pack(F.shiftright(F.xxhash64(hash_of(x), earlier(x, i)), _PLACE), place_of(x))))
 
-        return F.sort_array(F.transform(s, one))
+        slot = lambda x: F.shiftrightunsigned(hash_of(x), 40 - _BITS).bitwiseAND(F.lit(SLOTS - 1))
+        least = lambda e: F.filter(e, lambda x, i: (i < TUPLE) | (slot(x) != slot(F.get(e, i - TUPLE))))
 
-    slot = lambda x: F.shiftrightunsigned(x, 64 - _BITS)
-    least = lambda e: F.filter(e, lambda x, i: (i < TUPLE) | (slot(x) != slot(F.get(e, i - TUPLE))))
+        def signature(e: Column) -> Column:
+            def one(j: Column) -> Column:
+                # in text order: the place leads
+                own = F.sort_array(F.transform(F.filter(e, lambda x: slot(x) == j), lambda x: F.struct(place_of(x).alias("p"), hash_of(x).bitwiseAND(mask).alias("h"))))
+                return F.when(F.size(own) == 0, "-" * 8).otherwise(F.lpad(F.right(F.hex(F.xxhash64(F.transform(own, lambda x: x["h"]))), F.lit(8)), 8, "0"))
 
-    def signature(e: Column) -> Column:
-        def one(j: Column) -> Column:
-            # in text order: the place leads
-            own = F.sort_array(F.transform(F.filter(e, lambda x: slot(x) == j), lambda x: F.shiftleft(x, 64 - _PLACE).bitwiseOR(F.shiftrightunsigned(x, _PLACE))))
-            hashes = F.transform(own, lambda x: x.bitwiseAND(F.lit((1 << 64 - _PLACE) - 1)))
-            return F.when(F.size(own) == 0, "-" * 8).otherwise(F.lpad(F.right(F.hex(F.xxhash64(hashes)), F.lit(8)), 8, "0"))
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda j: one(j)), "")
 
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda j: one(j)), "")
+        first = F.sort_array(F.transform(w, lambda x, i: pack(F.shiftright(kmer(w, x, i), _PLACE), i.cast("long"))))
+        return _bind(first, lambda s: _bind(numbered(s), lambda e: _bind(least(e), signature)))
 
-    return F.lower(_bind(words, lambda w: _bind(packed(w), lambda s: _bind(numbered(s), lambda e: _bind(least(e), signature)))))
+    def narrow(w: Column) -> Column:
+        pack = lambda h, p: F.shiftleft(h, _PLACE).bitwiseOR(p)
+        return build(w, pack, lambda x: F.shiftright(x, _PLACE), lambda x: x.bitwiseAND(F.lit((1 << _PLACE) - 1)), _PLACE)
+
+    def wide(w: Column) -> Column:
+        pack = lambda h, p: F.struct(h.alias("h"), p.alias("p"))
+        return build(w, pack, lambda x: x["h"], lambda x: x["p"], 31)
+
+    return F.lower(_bind(words, lambda w: F.when(F.size(w) < NARROW, narrow(w)).otherwise(wide(w))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -79,37 +87,60 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.size(equal) / F.greatest(F.size(filled), F.lit(1)))
 
 
+def _bucket(docs: DataFrame, parts: int) -> Column:
+    """Bucket of a row (doc_id, _h), descending in the order of ``neighbours``: ranges of doc_id of
+    about equal rows, by quantiles, each divided evenly; null ids, and an id that fills
+    several ranges, by their hash."""
+    bounds = bounds_of(docs, "doc_id", min(parts, MAX_BOUNDS))
+    ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    edges = [ends["lo"] or 0, *bounds, (ends["hi"] or 0) + 1]
+    inner = max(1, -(-parts // max(1, len(edges) - 1)))
+    i = F.col("doc_id")
+    k = bucket_of(i, bounds)
+    known = F.split(F.lit(",".join(map(str, edges))), ",").cast("array<decimal(20,0)>")
+    low, high = F.get(known, k), F.get(known, k + 1)
+    # in decimals: the width of a range of longs can exceed a long
+    part = F.least(F.floor((i - low) * inner / F.greatest(high - low, F.lit(1))), F.lit(inner - 1))
+    by_hash = F.shiftright("_h", 52) + 2048
+    heavy = sorted({b for b, c in zip(bounds, bounds[1:]) if b == c})
+    minor = F.when(i.isin(*heavy), 4095 - by_hash).otherwise(4096) if heavy else F.lit(4096)
+    return F.when(i.isNull(), -1 - by_hash).otherwise((k * inner + part) * 4097 + minor).cast("long")
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """Each document with the text and fingerprint of the next one, descending doc_id (null ids
-    last; after the last, the first). Rows are dealt to ranges of doc_id; each range is ordered
-    in its own task, and the ranges' last rows get the head of the range that follows."""
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi, n = span["lo"] or 0, span["hi"] or 0, span["n"]
-    width = max(1, -(-(hi - lo + 1) // max(1, min(MAX_BUCKETS, n // 64 + 1))))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - lo) / width), F.lit(-1)).cast("long")
-    docs = docs.select("doc_id", "text")
-    rows = docs.withColumn("_bucket", bucket).withColumn("fingerprint", fingerprint(F.col("text")))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64(F.coalesce("text", F.lit("")))]
+    last; rows of one id by a hash of the text; after the last, the first). Rows are dealt to
+    ranges of that order of about equal rows; each range is ordered in its own task, and the
+    ranges' last rows get the head of the range that follows. A single row is its own
+    neighbour; an empty table gives no rows; other columns, whatever their names, are ignored."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    parts = max(1, min(MAX_BUCKETS, docs.count() // BUCKET_ROWS))
+    docs = docs.withColumn("_bucket", _bucket(docs, parts))
+    rows = docs.withColumn("fingerprint", fingerprint(F.col("text")))
+    place = F.struct((-F.col("doc_id").cast("decimal(20,0)")).alias("i"), F.col("_h"))
     # the head of each range: one row for each of a bounded number of ranges
-    tops = docs.withColumn("_bucket", bucket).groupBy("_bucket").agg(F.max("doc_id").alias("_top"))
+    tops = docs.groupBy("_bucket").agg(F.min(place).alias("_top"))
     down = Window.orderBy(F.col("_bucket").desc())
     whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    wanted = tops.select("_bucket", F.when(F.lead("_bucket").over(down).isNotNull(), F.lead("_top").over(down)).otherwise(F.first("_top").over(whole)).alias("_want"))
-    heads = docs.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("_want")))
-    # equal ids: the first of them in the order above
-    heads = heads.withColumn("_first", F.row_number().over(Window.partitionBy("_bucket").orderBy(order[1]))).filter("_first = 1")
-    heads = heads.select("_bucket", F.col("text").alias("_head"), fingerprint(F.col("text")).alias("_head_fp"))
+    head = F.struct("_bucket", "_top")
+    wanted = tops.select(F.col("_bucket").alias("_for"), F.coalesce(F.lead(head).over(down), F.first(head).over(whole)).alias("_want"))
+    heads = docs.join(F.broadcast(wanted), (F.col("_bucket") == F.col("_want._bucket")) & place["i"].eqNullSafe(F.col("_want._top.i")) & (F.col("_h") == F.col("_want._top._h")))
+    # equal rows: any of them
+    heads = heads.withColumn("_first", F.row_number().over(Window.partitionBy("_for").orderBy("_h"))).filter("_first = 1")
+    heads = heads.select(F.col("_for").alias("_bucket"), F.col("text").alias("_head"), fingerprint(F.col("text")).alias("_head_fp"))
     both = rows.join(heads.hint("merge"), "_bucket", "left")
-    w = Window.partitionBy("_bucket").orderBy(*order)
+    w = Window.partitionBy("_bucket").orderBy(F.col("doc_id").desc_nulls_last(), "_h")
     both = both.withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
     both = both.withColumn("_next", F.lead("text").over(w)).withColumn("_next_fp", F.lead("fingerprint").over(w))
     pick = lambda a, b: F.when(F.col("_last"), F.col(a)).otherwise(F.col(b))
     return both.select("doc_id", "text", "fingerprint", pick("_head", "_next").alias("next_text"), pick("_head_fp", "_next_fp").alias("next_fingerprint"))
 
 
-def op9_order_minhash(spark, sf_dir):
-    """Every document's fingerprint beside those of its edited text and of the next document."""
-    rows = neighbours(table(spark, sf_dir, "documents"))
+def edited_fingerprints(docs: DataFrame) -> DataFrame:
+    """Every document's fingerprint beside those of its edited text (the last third replaced by
+    the head of the next document) and of the next document, with their likeness. Null texts
+    count as empty; see ``neighbours`` for ties, null ids and empty tables."""
+    rows = neighbours(docs)
     text, after = F.coalesce("text", F.lit("")), F.coalesce("next_text", F.lit(""))
     n = F.char_length(text)
     cut = F.floor(n / 3).cast("int")
@@ -121,3 +152,7 @@ def op9_order_minhash(spark, sf_dir):
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
+
+
+def op9_order_minhash(spark, sf_dir):
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
