@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import table
+from .common import bounds_of, bucket_of, table
 
 #: Headers that a not-modified answer may renew in a stored response; all others stay.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "via", "warning")
 #: Query parameters that do not name a page.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
-#: Time ranges that the as-of join is dealt to; a URL's captures are ordered within each.
+#: Time ranges, of about equal rows, that the as-of join is dealt to; a URL's captures are
+#: ordered within each.
 RANGES = 512
 #: A page is asked for again after this many captures.
 RECHECK = 1000
@@ -29,8 +30,14 @@ def canonical_url(url: Column) -> Column:
 
 
 def merge_headers(stored: Column, fresh: Column) -> Column:
-    """``stored`` with the permitted ones of ``fresh`` laid over it; names in lower case."""
-    low = lambda m: F.map_from_entries(F.array_distinct(F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+    """``stored`` with the permitted ones of ``fresh`` laid over it; names in lower case. A name
+    that stands in several spellings keeps the value of the last one in order of its letters."""
+
+    def low(m: Column) -> Column:
+        entries = F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["key"].alias("as"), e["value"].alias("value"))))
+        last = F.filter(entries, lambda e, i: ~F.coalesce(F.get(entries, i + 1)["key"] == e["key"], F.lit(False)))
+        return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+
     none = F.create_map().cast("map<string,string>")
     allowed = F.map_filter(low(F.coalesce(fresh, none)), lambda k, _: k.isin(*PERMITTED))
     kept = F.map_filter(low(F.coalesce(stored, none)), lambda k, _: ~F.array_contains(F.map_keys(allowed), k))
@@ -41,7 +48,8 @@ def resolve_revisits(records: DataFrame, ranges: int = RANGES) -> DataFrame:
     """As-of join of every revisit to the latest earlier full response of its canonical URL.
 
     ``records``: rec_id, url, ts (long), rec_type ('response' or 'revisit'), etag,
-    last_modified, headers (map), digest. Returns one row for each revisit: rec_id, url_key,
+    last_modified, headers (map), digest and, if there is one, http_status: a response is full
+    if that is 2xx or not known. Other columns, whatever their names, are ignored. Returns one row for each revisit: rec_id, url_key,
     ts, response_id, status, headers (merged), digest, etag. status is ``resolved`` when the
     revisit's validators (ETag, weak or strong, or else Last-Modified) are those of the
     response, ``mismatch`` when they differ or there is none to check, ``unresolved`` when no
@@ -49,20 +57,20 @@ def resolve_revisits(records: DataFrame, ranges: int = RANGES) -> DataFrame:
     counts. Null URLs or times stay unresolved; repeated rows keep their rows; other record
     types are passed over; empty tables give none.
 
-    Captures are dealt to time ranges of each URL, so a URL with many captures is ordered in
-    many tasks; the last response of each range is handed on to later ranges.
+    Captures are dealt to time ranges of about equal rows, by quantiles, so a URL with many
+    captures, even in a burst, is ordered in many tasks; the last response of each range is
+    handed on to later ranges.
     """
+    code = F.col("http_status").try_cast("int") if "http_status" in records.columns else F.lit(None).cast("int")
     rows = records.select(
         F.col("rec_id").cast("long").alias("rec_id"), canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), "rec_type",
         F.col("etag").cast("string").alias("etag"), F.col("last_modified").cast("string").alias("last_modified"), F.col("headers").cast("map<string,string>").alias("headers"), F.col("digest").cast("string").alias("digest"),
+        F.coalesce(code.between(200, 299), F.lit(True)).alias("_ok"),
     ).filter(F.col("rec_type").isin("response", "revisit"))
-    span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    lo, hi = span["lo"] or 0, span["hi"] or 0
-    width = max(1, -(-(hi - lo + 1) // ranges))
-    rows = rows.withColumn("_range", F.floor((F.col("ts") - lo) / width))
+    rows = rows.withColumn("_range", bucket_of(F.col("ts"), bounds_of(rows, "ts", ranges)))
     usable = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
     full = F.struct("ts", "rec_id", "etag", "last_modified", "headers", "digest")
-    rows = rows.withColumn("_full", F.when((F.col("rec_type") == "response") & usable, full))
+    rows = rows.withColumn("_full", F.when((F.col("rec_type") == "response") & F.col("_ok") & usable, full))
     known = rows.filter(usable)
     order = F.struct("ts", "rec_id")
     ends = known.groupBy("url_key", "_range").agg(F.max_by("_full", F.when(F.col("_full").isNotNull(), order)).alias("_end"))
