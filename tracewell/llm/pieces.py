@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, table
+from .common import run_on_texts, table
 
 #: The space's stand-in in pieces.
 SPACE = "▁"
@@ -284,7 +284,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     Returns doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (and
     ids with ``with_ids``), one row for each row of ``docs``. Null texts count as empty, which
     has no ids; null ids and repeated rows keep their rows; an empty table gives none; other
-    columns are ignored. The model is read once on the driver and sent to the executors.
+    columns, whatever their names, are ignored. The model is read once on the driver and sent to the executors.
     """
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
     sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -313,7 +313,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                 at = to
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return small_batches(docs).select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return run_on_texts(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids))
 
 
 def op4_merge_rounds(spark, sf_dir):

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, table
+from .common import run_on_texts, small_batches, table, whole_rows
 from .scoring import MAX_TRAIN, fold_of, training_ids
 
 #: Preference pairs drawn for training, each a good and a bad document of the sample.
@@ -120,8 +120,10 @@ def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Ranker:
     """Fit on a bounded sample of labelled documents outside the held-out fold."""
     ids = training_ids(labels, "quality", max_rows)
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    got = rows.mapInPandas(_measured, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    with small_batches(docs.sparkSession):
+        got = rows.mapInPandas(_measured, "doc_id long, y int, x array<double>").toPandas()
+    got = got.iloc[sorted(range(len(got)), key=lambda k: (got["doc_id"].iloc[k], list(got["x"].iloc[k])))]
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(NAMES))
     return fit(x, got["y"].to_numpy(int))
 
@@ -142,19 +144,25 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Data
 
     rows = docs.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 1, F.lit(True)).alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double")
+    out = run_on_texts(rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all their columns."""
+    """The rows of ``docs`` that the classifier does not reject (score >= 0.5), with all their
+    columns and no others, whatever their names.
+
+    Null texts count as empty and, like all equal texts, stay or go together; rows with null
+    or repeated ids are judged each by its text; an empty table gives no rows.
+    """
     ranker = train(docs, labels, max_rows)
 
     @F.pandas_udf("double")
     def scored(text: pd.Series) -> pd.Series:
         return pd.Series(ranker.score(np.array([features_of(t) for t in text], float).reshape(len(text), len(NAMES))))
 
-    return docs.filter(scored(F.col("text")) >= 0.5)
+    rows = docs.select(whole_rows(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    return run_on_texts(rows.filter(scored(F.col("text")) >= 0.5).select("row.*"))
 
 
 def op5_bradley_terry_quality(spark, sf_dir):

@@ -10,11 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, table
+from .common import run_on_texts, scratch, table
 from .scoring import MAX_TRAIN, fold_of, training_ids
 
-#: Severity grades 0 (clean) to GRADES - 1. Labels mark only clean and toxic, so a toxic
-#: training text's grade is the tercile of its share of words that mark toxic texts.
+#: Severity grades 0 (clean) to GRADES - 1. Labels may state grades. Where they mark only clean
+#: and toxic (no label above 1), a toxic training text's grade is the tercile of its share of
+#: words that mark toxic texts.
 GRADES = 4
 #: Features that a model keeps: those that tell the toxic training texts best from the clean.
 MAX_FEATURES = 4_000
@@ -107,12 +108,30 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"f": rest, "n1": [0] * len(rest), "n0": [both[0][k] for k in rest]})
 
 
+def loss(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, weights: np.ndarray, cuts: np.ndarray, l2: float = 2e-4) -> float:
+    """What ``fit_cumulative`` minimises: the weighted mean negative log-likelihood, and the ridge."""
+    s = np.array([(weights[i] * v).sum() for i, v in rows])
+    over = np.hstack([np.ones((len(s), 1)), 1 / (1 + np.exp(-(s[:, None] - cuts))), np.zeros((len(s), 1))])
+    p = over[np.arange(len(s)), grades] - over[np.arange(len(s)), grades + 1]
+    share = np.bincount(grades, minlength=GRADES) / len(grades)
+    heavy = np.minimum(1 / np.maximum(share, 1e-6), 10)[grades]
+    return float(-(heavy / heavy.sum() * np.log(np.maximum(p, 1e-12))).sum() + l2 / 2 * (weights**2).sum())
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Model:
-    """Fit on a bounded sample of labelled documents outside the held-out fold; equal texts count once."""
-    ids = training_ids(labels, "toxic", max_rows)
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = rows.groupBy(F.xxhash64("text").alias("_t")).agg(F.first("text").alias("text"), F.max("y").alias("y"))
-    counts = rows.mapInPandas(_counted, "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    """Fit on a bounded sample of labelled documents outside the held-out fold; equal texts
+    count once, with their largest label. Labels are 0 (clean), 1 (toxic) or grades up to
+    GRADES - 1."""
+    ids = training_ids(labels, "toxic", max_rows, GRADES - 1)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    with scratch():
+        # the sample is read twice: for the features' counts, and for the chosen features
+        rows = run_on_texts(rows.groupBy(F.xxhash64("text").alias("_t")).agg(F.first("text").alias("text"), F.max("y").alias("g")).withColumn("y", F.least("g", F.lit(1))))
+        return _fitted(rows, max_features)
+
+
+def _fitted(rows: DataFrame, max_features: int) -> Model:
+    counts = run_on_texts(rows.mapInPandas(_counted, "f string, n1 long, n0 long")).groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     totals = counts.filter("f = ''").first()
     t1, t0 = (totals["n1"], totals["n0"]) if totals else (0, 0)
     if not t1 or not t0:
@@ -131,16 +150,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, max_fea
                 c = features_of(text)
                 have = sorted((index[f], n) for f, n in c.items() if f in index)
                 out.append(([k for k, _ in have], [float(n) for _, n in have], sum(n for f, n in c.items() if f[-1:] != "-")))
-            yield pd.DataFrame({"t": pdf["_t"], "y": pdf["y"], "k": [o[0] for o in out], "n": [o[1] for o in out], "words": [o[2] for o in out]})
+            yield pd.DataFrame({"t": pdf["_t"], "g": pdf["g"], "k": [o[0] for o in out], "n": [o[1] for o in out], "words": [o[2] for o in out]})
 
-    got = rows.mapInPandas(picked, "t long, y int, k array<int>, n array<double>, words long").toPandas().sort_values("t", kind="stable")
-    odd = best["o"].to_numpy()
-    y = got["y"].to_numpy(int)
+    got = run_on_texts(rows.mapInPandas(picked, "t long, g int, k array<int>, n array<double>, words long")).toPandas().sort_values("t", kind="stable")
     sparse = [(np.asarray(k, int), np.log1p(np.asarray(n, float))) for k, n in zip(got["k"], got["n"])]
-    dense = np.array([(odd[k] * v).sum() for k, v in sparse]) / np.log(got["words"].to_numpy(float) + 3)
-    grades = np.zeros(len(y), int)
-    edges = np.quantile(dense[y == 1], np.linspace(0, 1, GRADES)[1:-1])
-    grades[y == 1] = 1 + np.searchsorted(edges, dense[y == 1], "right")
+    grades = got["g"].to_numpy(int)
+    if grades.max() == 1:
+        odd = best["o"].to_numpy()
+        dense = np.array([(odd[k] * v).sum() for k, v in sparse]) / np.log(got["words"].to_numpy(float) + 3)
+        toxic = grades == 1
+        edges = np.quantile(dense[toxic], np.linspace(0, 1, GRADES)[1:-1])
+        grades[toxic] = 1 + np.searchsorted(edges, dense[toxic], "right")
     weights, cuts = fit_cumulative(sparse, grades, len(index))
     return Model(index, weights, cuts)
 
@@ -164,7 +184,7 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 1, F.lit(True)).alias("held_out"), "text")
-    out = rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, expected_severity double, severity int")
+    out = run_on_texts(rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, expected_severity double, severity int"))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "expected_severity", "severity")
 
 
