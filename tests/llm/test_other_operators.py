@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.llm import lattice, warc
 
@@ -78,13 +79,14 @@ def test_revisits_as_of(spark, ranges):
         ts = None if rng.random() < 0.05 else int(rng.integers(120))
         rows.append((k, urls[rng.choice(5, p=[0.5, 0.2, 0.2, 0.05, 0.05])], ts, kind, tag, f"d{rng.integers(2)}", {"Date": str(k), "X": "1"} if kind == "response" else {"date": "new", "Content-Length": "0"}, f"p{k}", 1))
     df = spark.createDataFrame(rows, "rec_id long, url string, ts long, rec_type string, etag string, last_modified string, headers map<string,string>, digest string, status int")
+    df = df.withColumn("http_status", F.when(F.col("rec_id") % 11 == 0, 503).when(F.col("rec_id") % 3 == 0, 200))
     key = {"http://a.com/x": "a.com/x", "https://www.a.com/x/": "a.com/x", "http://b.com/y": "b.com/y"}
     got = {r.rec_id: r for r in warc.resolve_revisits(df, ranges).collect()}
     assert len(got) == sum(r[3] == "revisit" for r in rows)
     for r in rows:
         if r[3] != "revisit":
             continue
-        before = [x for x in rows if x[3] == "response" and key.get(x[1]) and key.get(x[1]) == key.get(r[1]) and None not in (x[2], r[2]) and x[2] < r[2]]
+        before = [x for x in rows if x[3] == "response" and x[0] % 11 and key.get(x[1]) and key.get(x[1]) == key.get(r[1]) and None not in (x[2], r[2]) and x[2] < r[2]]
         best = max(before, key=lambda x: (x[2], x[0]), default=None)
         plain = lambda e: e.removeprefix("W/")
         same = best and (plain(r[4]) == plain(best[4]) if r[4] and best[4] else r[5] == best[5])
@@ -92,3 +94,17 @@ def test_revisits_as_of(spark, ranges):
         assert (g.response_id, g.status) == (best and best[0], "unresolved" if not best else "resolved" if same else "mismatch"), r
         assert (g.headers, g.digest) == (({"x": "1", "date": "new"}, best[7]) if best and same else (None, None))
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+
+
+def test_headers_in_several_spellings(spark):
+    df = spark.createDataFrame([({"Via": "a", "via": "b", "VIA": "c", "X-Y": "1", "x-y": "2"}, {"DATE": "new", "Date": "newer", "x-y": "3"}), (None, None), ({"A": None}, {})], "s map<string,string>, f map<string,string>")
+    assert [r.m for r in df.select(warc.merge_headers(df.s, df.f).alias("m")).collect()] == [{"via": "b", "x-y": "2", "date": "newer"}, {}, {"a": None}]
+
+
+def test_bursts_are_dealt_evenly(spark):
+    from tracewell.llm.common import bounds_of, bucket_of
+
+    df = spark.createDataFrame([(k,) for k in [*range(1000), 2**60, -(2**60), None]], "x long")
+    out = df.groupBy(bucket_of(F.col("x"), bounds_of(df, "x", 10)).alias("b")).count().collect()
+    assert len(out) == 11 and max(r["count"] for r in out) <= 130
+    assert bounds_of(df.limit(0), "x", 10) == []
