@@ -382,7 +382,8 @@ def dealt(rows: DataFrame) -> DataFrame:
     )
     parts = lambda rows: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(F.col("size") * rows / F.col("rows") / BLOCK_SHINGLES), F.lit(1)).cast("int")
     per = per.filter("kinds > 1").select("region", "top", parts(F.col("rows")).alias("blocks"), parts(F.col("rows") - F.col("most")).alias("chunks"))
-    mine = rows.join(per, "region")
+    per = materialise(per)
+    mine = rows.join(broadcast_if_small(per, per.count()), "region")
     role = lambda k: F.lit(k).alias("role")
     one = F.array(F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("block"), role(2)))
     spot = lambda parts, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(parts)).cast("int")
