@@ -8,7 +8,7 @@ from tracewell import cli
 from tracewell.operators.anomalies import leave_one_out
 from tracewell.operators.aggregate import carry_forward
 from tracewell.operators.precursors import find_precursors, next_failures
-from tracewell.operators.templates import _Miner, assign_templates
+from tracewell.operators.templates import TemplateMiner, assign_templates
 from tracewell.options import AnalyzeOptions, UsageError, parse_byte_size, parse_duration
 from tracewell.plans.report import analyze, json_for_html, render_html, render_json, render_text
 from tracewell.sources.lines import DEMO_SOURCE, demo_lines
@@ -73,7 +73,7 @@ def test_miner_is_the_sequential_one(spark):
         want.append(" ".join(best[0]))
     rows = spark.createDataFrame([(k, m) for k, m in enumerate(messages)], "seq long, message string")
     got = assign_templates(rows).orderBy("seq").collect()
-    miner = _Miner(4, 0.6)
+    miner = TemplateMiner(4, 0.6)
     ids = {" ".join(c[0]): " ".join(c[1]) for c in clusters}
     import hashlib
 

@@ -13,8 +13,6 @@ LEVELS = {
 }
 #: Numeric levels from which a level holds.
 LEVEL_STEPS = ((60, "fatal"), (50, "error"), (40, "warn"), (30, "info"), (20, "debug"), (10, "trace"))
-#: Milliseconds of a latency's unit.
-UNITS_MS = {"ns": 1e-6, "us": 1e-3, "µs": 1e-3, "μs": 1e-3, "ms": 1.0, "s": 1e3, "sec": 1e3, "secs": 1e3, "seconds": 1e3}
 _MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 _NUMBER = r"^\d+(?:\.\d+)?$"
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 EPSILON = 2.0**-52
@@ -14,7 +16,21 @@ SPACES = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\
 NOT_SPACES = SPACES.replace("[", "[^", 1)
 #: Word edges of ASCII words, whatever stands beside them.
 EDGE_BEFORE = "(?<![A-Za-z0-9_])"
-EDGE_AFTER = "(?![A-Za-z0-9_])"
+
+
+def cached(build):
+    """Keep the columns that ``build`` makes of its arguments: they name no DataFrame, and making
+    a long expression takes thousands of calls into the JVM."""
+    made: dict = {}
+
+    @functools.wraps(build)
+    def get(*args):
+        jvm = SparkContext._gateway
+        if args not in made or made[args][0] is not jvm:
+            made[args] = (jvm, build(*args))
+        return made[args][1]
+
+    return get
 
 
 def round_half(value: Column, places: int = 2) -> Column:

@@ -59,6 +59,7 @@ def _found(kind: str, stamps: list[str], values: np.ndarray, ask: np.ndarray, te
     for k in np.flatnonzero(ask & (score >= least) & (ratio >= factor)).tolist():
         x, e, sc = float(values[k]), float(expected[k]), float(score[k])
         observed = round_half_py(x, 3) if kind == "latency-spike" else x
+        # fixed values: the sentences
         if kind == "error-burst":
             detail = f"{number_text(x)} errors landed in this bucket; the robust baseline is {number_text(round_half_py(e, 1))}."
         elif kind == "latency-spike":

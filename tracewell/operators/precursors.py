@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import percent, round_half
 
-WINDOW_MS, MAX_EVENTS = 300_000, 100_000
+WINDOW_MS = 300_000
 MIN_SUPPORT, MIN_LIFT = 2, 1.25
 
 
-def sequence(assigned: DataFrame, max_events: int | None = MAX_EVENTS) -> DataFrame:
-    """seq, ts_ms, service, template_id, failure of events with a time, the first ``max_events`` by arrival."""
+def sequence(assigned: DataFrame, max_events: int | None = None) -> DataFrame:
+    """seq, ts_ms, service, template_id, failure of events with a time: all of them, or the first
+    ``max_events`` by arrival."""
     df = assigned.filter(F.col("ts_ms").isNotNull()).select("seq", "ts_ms", "service", "template_id", F.col("level").isin("error", "fatal").alias("failure"))
     return df if max_events is None else df.orderBy("seq").limit(max_events)
 

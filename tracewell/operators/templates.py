@@ -9,11 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import NOT_SPACES, percent, trim
+from ..functions.scalars import NOT_SPACES, cached, percent, trim
 
 WILDCARD = "<*>"
 THRESHOLD = 0.6
 MAX_TEXT = 500
+#: Fixed value: what counts as one token.
 _TOKEN = rf"\[[^\]]+\]|\"(?:\\.|[^\"\\])*\"|'[^']*'|{NOT_SPACES}+"
 #: What a token of a shape stands for, the first that fits.
 SHAPES = (
@@ -40,7 +41,12 @@ def tokens_of(message: Column) -> Column:
     return F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("(empty message)"))), normalize_token)
 
 
-class _Miner:
+@cached
+def _message_tokens() -> Column:
+    return tokens_of(F.col("message"))
+
+
+class TemplateMiner:
     """Clusters of token lists of one length, fed in order of first arrival.
 
     A list seen before is alike in full to the cluster that took it, so it changes no
@@ -106,7 +112,7 @@ def _fold(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", kind="stable")
         lists = [json.loads(t) for t in pdf["tokens"]]
-        miner = _Miner(len(lists[0]), threshold)
+        miner = TemplateMiner(len(lists[0]), threshold)
         for seq, tokens in zip(pdf["seq"].tolist(), lists):
             miner.add(seq, tokens)
         named = [miner.template(k) for k in range(len(miner.firsts))]
@@ -129,7 +135,7 @@ def assign_templates(events: DataFrame, threshold: float = THRESHOLD) -> DataFra
     row for each distinct list, by length; all events then join their list's template of the
     time. A takeover during an event's own arrival holds from later arrivals on.
     """
-    listed = events.withColumn("_tokens", tokens_of(F.col("message"))).withColumn("_key", F.xxhash64("_tokens"))
+    listed = events.withColumn("_tokens", _message_tokens()).withColumn("_key", F.xxhash64("_tokens"))
     distinct = listed.groupBy(F.col("_key").alias("key")).agg(F.min("seq").alias("seq"), F.first("_tokens").alias("t"))
     distinct = distinct.select("key", "seq", F.size("t").alias("n"), F.to_json("t").alias("tokens"))
     found = distinct.groupBy("n").applyInPandas(_fold(threshold), "key long, since long, until long, template_id string, template string")

@@ -46,7 +46,8 @@ class AnalyzeOptions:
     max_samples: int = 3
     precursors: bool = False
     sequence_window_ms: int = 300_000
-    max_sequence_events: int = 100_000
+    #: Events that take part in the precursor analysis, the first by arrival; None: all.
+    max_sequence_events: int | None = None
     #: Stands for the wall clock: fallback time, and the year of stamps without one.
     now: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
 
@@ -58,6 +59,8 @@ class AnalyzeOptions:
         if self.precursors:
             for name in ("sequence_window_ms", "max_sequence_events"):
                 value = getattr(self, name)
+                if value is None and name == "max_sequence_events":
+                    continue
                 if int(value) != value or not 1 <= value <= MAX_SAFE_INTEGER:
                     raise UsageError(f"{name} must be a positive safe integer")
         self.bucket_ms = int(self.bucket_ms)

@@ -114,7 +114,7 @@ class Analysis:
             hits[k] = hits.get(k, 0) + n
         total = sum(hits.values())
         seen = self.events.filter("ts_ms is not null").count() if o.precursors else 0
-        kept = min(seen, o.max_sequence_events)
+        kept = seen if o.max_sequence_events is None else min(seen, o.max_sequence_events)
         present = lambda **kv: {k: v for k, v in kv.items() if v is not None}
         doc = {
             "schemaVersion": "1.1" if o.precursors else "1.0",
@@ -140,7 +140,7 @@ class Analysis:
         if latency["count"]:
             doc["summary"]["latency"] = {_camel(k): v for k, v in latency.items()}
         if o.precursors:
-            doc["metadata"]["precursorAnalysis"] = {"enabled": True, "sequenceWindowMs": o.sequence_window_ms, "maxSequenceEvents": o.max_sequence_events, "eventsSeen": seen, "eventsRetained": kept, "truncated": seen > kept}
+            doc["metadata"]["precursorAnalysis"] = {"enabled": True, "sequenceWindowMs": o.sequence_window_ms, **present(maxSequenceEvents=o.max_sequence_events), "eventsSeen": seen, "eventsRetained": kept, "truncated": seen > kept}
             doc["precursors"] = [{_camel(k): v for k, v in p.items()} for p in rows(self.precursors)]
         by_type = sorted(({"name": k, "count": n, "percent": percent_py(n, total)} for k, n in hits.items()), key=lambda x: (-x["count"], x["name"]))
         doc["privacy"] = {"redactions": total, "byType": by_type}

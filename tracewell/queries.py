@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions.normalise import normalize_level, parse_latency, parse_timestamp
+from .functions.scalars import cached
 from .operators import aggregate, anomalies, precursors, templates
 from .operators.parse import parse
 from .operators.redact import redact, redact_text, redaction_counts
@@ -31,6 +32,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_lines(spark: SparkSession, sf_dir: str, untimed: bool = False, by_user: bool = False, private: bool = False) -> DataFrame:
     """Lines of ``events``. ``untimed``: every seventh has no timestamp; ``by_user``: a service a
     user; ``private``: messages hold personal data and secrets of each kind in turn."""
+    return spread(_events(spark, sf_dir).select(*_line(untimed, by_user, private)))
+
+
+@cached
+def _line(untimed: bool, by_user: bool, private: bool) -> list[Column]:
     n, kind = F.col("event_id"), F.col("event_type")
     level = F.when(kind == "error", "error").when(kind == "purchase", "warn").when(kind == "click", "debug").otherwise("info")
     service = F.concat(F.lit("user-"), F.col("user_id")) if by_user else F.concat(F.lit("svc-"), F.col("user_id") % 5)
@@ -56,7 +62,7 @@ def log_lines(spark: SparkSession, sf_dir: str, untimed: bool = False, by_user:
     logfmt = F.concat(F.when(stamp.isNotNull(), F.concat(F.lit("time="), stamp, F.lit(" "))).otherwise(""), F.lit("level="), level, F.lit(" service="), service, F.lit(" duration="), took, F.lit("ms msg="), q, message, q)
     plain = F.concat(F.when(stamp.isNotNull(), F.concat(stamp, F.lit(" "))).otherwise(""), F.upper(level), F.lit(" ["), service, F.lit("] "), message, F.lit(" latency="), took, F.lit("ms"))
     text = F.when(n % 3 == 0, ndjson).when(n % 3 == 1, logfmt).otherwise(plain)
-    return spread(_events(spark, sf_dir).select(n.alias("seq"), text.alias("text"), F.lit(False).alias("truncated")))
+    return [n.alias("seq"), text.alias("text"), F.lit(False).alias("truncated")]
 
 
 def _parsed(spark, sf_dir, isolated: bool = True, **kw) -> DataFrame:
@@ -85,7 +91,7 @@ def _timed(df: DataFrame) -> DataFrame:
 
 def _of_format(name: str):
     def query(spark, sf_dir):
-        return _parsed(spark, sf_dir).filter(F.col("seq") % 3 == {"ndjson": 0, "logfmt": 1, "plain": 2}[name]).select("seq", "format", "malformed", "ts_ms", "level", "service", "message", "duration_ms")
+        return _parsed(spark, sf_dir).filter(F.col("format") == name).select("seq", "format", "malformed", "ts_ms", "level", "service", "message", "duration_ms")
 
     return query
 
@@ -99,7 +105,9 @@ def summary_row(spark, sf_dir):
 
 
 def timeline(spark, sf_dir):
-    return aggregate.timeline(_timed(_parsed(spark, sf_dir)), HOUR)
+    # the events are read once for two aggregates
+    events = _parsed(spark, sf_dir).select("ts_ms", "level", "duration_ms")
+    return aggregate.timeline(_timed(materialise(events)), HOUR)
 
 
 def latency_summary(spark, sf_dir):

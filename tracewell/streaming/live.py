@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.scalars import percent, round_half
 from ..operators.parse import parse
 from ..operators.redact import Redactor, redact
-from ..operators.templates import THRESHOLD, _Miner, tokens_of
+from ..operators.templates import THRESHOLD, TemplateMiner, tokens_of
 from ..sources.lines import bound
 
 
@@ -49,7 +49,7 @@ def stream_templates(events: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        miner = _Miner(key[0], threshold)
+        miner = TemplateMiner(key[0], threshold)
         counts: list[int] = []
         if state.exists:
             for first, row, n in json.loads(state.get[0]):
