@@ -6,7 +6,7 @@ import pytest
 
 from tracewell import cli
 from tracewell.operators.anomalies import leave_one_out
-from tracewell.operators.aggregate import carry_forward
+from tracewell.operators.aggregate import carry_forward, latency_summary, timeline
 from tracewell.operators.precursors import find_precursors, next_failures
 from tracewell.operators.templates import TemplateMiner, assign_templates
 from tracewell.options import AnalyzeOptions, UsageError, parse_byte_size, parse_duration
@@ -53,6 +53,23 @@ def test_huge_latencies_stay_finite_and_blank_lines_count(spark):
     assert doc["schemaVersion"] == "1.0" and "precursors" not in doc and len(doc["timeline"]) == 1
 
 
+def test_quantiles_are_exact_over_many_ranges_and_repeated_values(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.integers(0, 40, 3000), rng.random(2000) * 100, np.full(2500, 7.0)])
+    rows = [(int(k % 3), None if k % 11 == 0 else float(v), "error" if k % 5 == 0 else "info") for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "event_ms long, duration_ms double, level string")
+    r = latency_summary(df).first()
+    known = np.array([v for _, v, _ in rows if v is not None])
+    assert (r["count"], r.min_ms, r.approximate) == (len(known), 0, False)
+    assert np.allclose([r.p50_ms, r.p95_ms, r.p99_ms, r.mean_ms], [*np.quantile(known, [0.5, 0.95, 0.99]), known.mean()], atol=6e-4)
+    for b in timeline(df, 1).collect():
+        mine = [(v, level) for k, v, level in rows if k == b.bucket_ms]
+        assert (b["count"], b.errors) == (len(mine), sum(level == "error" for _, level in mine))
+        assert abs(b.latency_p95_ms - np.quantile([v for v, _ in mine if v is not None], 0.95)) < 6e-4
+    none = latency_summary(df.filter("duration_ms is null")).first()
+    assert (none["count"], none.p50_ms, none.mean_ms) == (0, None, None)
+
+
 def test_miner_is_the_sequential_one(spark):
     rng = np.random.default_rng(4)
     words = ["a", "b", "c", "<*>", "d"]

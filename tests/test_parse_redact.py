@@ -99,5 +99,24 @@ def test_file_lines_keep_order_and_are_bounded(spark, tmp_path):
     assert [(len(r.text), r.truncated) for r in rows] == [(1024, True), (6, False), (0, False), (4, False)]
 
 
+def test_lines_of_split_files_are_numbered_in_order(spark, tmp_path):
+    want = []
+    for name, n in (("a.log", 3000), ("b.log", 1), ("c d.log", 5000)):
+        lines = [f"{name} {k}" for k in range(n)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        want += lines
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "1000")
+        rows = read_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 10
+        got = rows.collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert [r.text for r in sorted(got, key=lambda r: r.seq)] == want and len({r.seq for r in got}) == len(want)
+
+
 def test_source_label():
     assert [source_label(s) for s in ("/var/log/a.log", "C:\\logs\\b.log", "rel/c.log", "stdin")] == ["a.log", "b.log", "rel/c.log", "stdin"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import percent, round_half
+from .aggregate import quantile_of
 
 WINDOW_MS = 300_000
 MIN_SUPPORT, MIN_LIFT = 2, 1.25
@@ -40,7 +41,8 @@ def find_precursors(events: DataFrame, templates: DataFrame | None = None, windo
     """Templates that precede failures more often than chance, by service: temporal
     associations, no causes. ``templates`` has template_id and template texts."""
     linked = next_failures(events, window_ms)
-    pairs = linked.groupBy("service", "template_id", "failure_template_id").agg(F.count("*").alias("n"), F.percentile("gap_ms", F.lit(0.5)).alias("gap"))
+    pair = ["service", "template_id", "failure_template_id"]
+    pairs = quantile_of(linked.groupBy(*pair, "gap_ms").agg(F.count("*").alias("_c")), pair, "gap_ms", 0.5, "gap", F.sum("_c").alias("n"))
     source = Window.partitionBy("service", "template_id")
     failing = Window.partitionBy("service", "failure_template_id")
     pairs = pairs.select("*", F.sum("n").over(source).alias("occurrences"), F.sum("n").over(failing).alias("baseline"), F.sum("n").over(Window.partitionBy("service")).alias("events"))

@@ -105,9 +105,7 @@ def summary_row(spark, sf_dir):
 
 
 def timeline(spark, sf_dir):
-    # the events are read once for two aggregates
-    events = _parsed(spark, sf_dir).select("ts_ms", "level", "duration_ms")
-    return aggregate.timeline(_timed(materialise(events)), HOUR)
+    return aggregate.timeline(_timed(_parsed(spark, sf_dir)), HOUR)
 
 
 def latency_summary(spark, sf_dir):
@@ -179,7 +177,7 @@ _ANOMALY = ("id", "type", "severity", "title", "detail", "timestamp", "observed"
 
 
 def bucket_anomalies(spark, sf_dir):
-    return anomalies.bucket_anomalies(timeline(spark, sf_dir)).select(*_ANOMALY)
+    return anomalies.bucket_anomalies(materialise(timeline(spark, sf_dir))).select(*_ANOMALY)
 
 
 def _bursty(spark, sf_dir) -> DataFrame:

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..options import RedactionConfig, UsageError
 
 SCHEMA = "seq long, text string, truncated boolean"
-#: Rows of a file split that an arrival number can tell apart.
+#: Bits of an arrival number for a row's place in its task; those above are for file splits.
 _ROWS = 33
+#: Files whose numbers are broadcast; more are joined.
+_FILES = 500_000
 
 
 def truncate_utf8(text: Column, max_bytes: int) -> Column:
@@ -41,21 +43,38 @@ def read_lines(spark: SparkSession, path: str | list[str], max_bytes: int = 2_00
     """Lines of files, directories or globs, gzip by extension, in order of path and place.
 
     Only LF ends a line; one CR before it is dropped; a line over the limit is cut before
-    the CR is looked for. ``seq`` numbers are in order but not dense: the rank of the file
-    split above the row's place, so numbering takes no shuffle of the lines.
+    the CR is looked for. ``seq`` numbers are in order but not dense: the file split's number
+    above the row's place, so numbering takes no shuffle of the lines. Splits are numbered
+    from the listing of the files: no split is smaller than ``_least_split`` but a file's last.
     """
     raw = spark.read.option("lineSep", "\n").text(path)
     split = raw.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
-    ranks = raw.select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b")).distinct()
-    ranks = ranks.withColumn("_k", F.row_number().over(Window.orderBy("_f", "_b")) - 1)
-    rows = split.join(F.broadcast(ranks), ["_f", "_b"])
-    seq = F.shiftleft(F.col("_k").cast("long"), _ROWS).bitwiseOR(F.col("_m").bitwiseAND(F.lit((1 << _ROWS) - 1)))
+    least = _least_split(spark)
+    files = _first_splits(spark, path, least)
+    rows = split.join(F.broadcast(files) if files.count() <= _FILES else files, "_f")
+    number = F.col("_k") + F.floor(F.col("_b") / least).cast("long")
+    seq = F.shiftleft(number, _ROWS).bitwiseOR(F.col("_m").bitwiseAND(F.lit((1 << _ROWS) - 1)))
     over = F.octet_length("text") > max_bytes
     # a CR that ends the line is not part of what counts against the limit once it is the last byte kept
     text = F.regexp_replace(truncate_utf8(F.col("text"), max_bytes), "\r\\z", "")
     return rows.select(seq.alias("seq"), text.alias("text"), over.alias("truncated"))
 
 
+def _least_split(spark: SparkSession) -> int:
+    """The least bytes into which the session's settings let a reader split a file."""
+    conf = spark._jsparkSession.sessionState().conf()
+    return max(1, min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()))
+
+
+def _first_splits(spark: SparkSession, path: str | list[str], least: int) -> DataFrame:
+    """_f, _k: files in order of path and the number of each one's first split, from their
+    sizes; no content is read."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_size").alias("_s"))
+    files = files.groupBy("_f").agg((F.floor(F.max("_s") / least) + 1).cast("long").alias("_s"))
+    before = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("_f", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_k"))
+
+
 def lines_from(spark: SparkSession, lines: Iterable[str | tuple[str, bool] | dict]) -> DataFrame:
     """Lines in memory: strings, (text, truncated) pairs or dicts with those keys."""
     rows = []
