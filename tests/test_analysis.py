@@ -1,8 +1,12 @@
+import io
 import json
+import os
 from datetime import datetime, timezone
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell import cli
 from tracewell.operators.anomalies import leave_one_out
@@ -165,3 +169,46 @@ def test_streams(spark, tmp_path):
         q.awaitTermination()
     assert sorted(map(tuple, spark.table("tl").select("count", "errors", "latency_p95_ms").collect())) == [(4, 4, 2.85)] * 3
     assert [(r.template, r["count"]) for r in spark.table("tp").collect()] == [("job <num> failed for <*> <*>", 12)]
+
+
+def test_streamed_arrival(spark, tmp_path):
+    """Files of one time keep apart, in order of path; more than 2 ** 21 lines of a file are told apart."""
+    from tracewell.streaming.live import stream_lines, stream_templates
+
+    def run(df, name, mode):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
+        return spark.table(name)
+
+    src = tmp_path / "in"
+    src.mkdir()
+    for name, first in (("b.log", "late"), ("a.log", "early")):
+        (src / name).write_text(f"{first} job of worker failed\n\n")
+        os.utime(src / name, (1_780_000_000, 1_780_000_000))
+    (src / "none.log").write_text("")
+    lines = stream_lines(spark, str(src))
+    rows = run(lines, "arrivals", "append").orderBy("seq").collect()
+    assert [(r.seq.file[-5:], r.seq.place) for r in rows] == [("a.log", 0), ("a.log", 1), ("b.log", 0), ("b.log", 1)]
+    events = lines.filter("text <> ''").select("seq", F.col("text").alias("message"))
+    found = run(stream_templates(events), "arrived", "update").collect()
+    assert [(r.template, r["count"]) for r in found] == [("<*> job of worker failed", 2)]
+
+    many = tmp_path / "many"
+    many.mkdir()
+    (many / "c.log").write_text("x\n" * ((1 << 21) + 2))
+    last = stream_lines(spark, str(many)).groupBy().agg(F.count("*").alias("n"), F.max("seq.place").alias("last"))
+    assert run(last, "places", "complete").first() == ((1 << 21) + 2, (1 << 21) + 1)
+
+
+def test_standard_input(spark, monkeypatch):
+    """Standard input goes through the shared folder and is removed with what is made there."""
+    from tracewell.sources.lines import stdin_lines
+    from tracewell.storage import scratch, shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO("one\r\ntwö\n".encode() + b"y" * 3_000_000)))
+    with scratch():
+        rows = stdin_lines(spark).orderBy("seq").collect()
+        assert [(r.text[:3], r.truncated) for r in rows] == [("one", False), ("twö", False), ("yyy", True)]
+        assert len(rows[2].text) == 2_000_000
+    assert set(folder.iterdir()) == before

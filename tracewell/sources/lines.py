@@ -6,12 +6,12 @@ import json
 import ntpath
 import posixpath
 import sys
-import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..options import RedactionConfig, UsageError
+from ..storage import new_path
 
 SCHEMA = "seq long, text string, truncated boolean"
 #: Bits of an arrival number for a row's place in its task; those above are for file splits.
@@ -85,11 +85,17 @@ def lines_from(spark: SparkSession, lines: Iterable[str | tuple[str, bool] | dic
 
 
 def stdin_lines(spark: SparkSession, max_bytes: int = 2_000_000) -> DataFrame:
-    """Standard input, spooled to a file on the driver so that it is read like one."""
-    with tempfile.NamedTemporaryFile("wb", suffix=".log", delete=False) as f:
+    """Standard input, copied to a file in the shared folder, so that every executor can read it;
+    the file is removed as tables there are."""
+    path = new_path(spark, ".log")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    try:
         while chunk := sys.stdin.buffer.read(1 << 20):
-            f.write(chunk)
-    return read_lines(spark, f"file://{f.name}", max_bytes)
+            out.write(chunk)
+    finally:
+        out.close()
+    return read_lines(spark, path, max_bytes)
 
 
 def demo_lines(spark: SparkSession) -> DataFrame:
